@@ -1,0 +1,24 @@
+"""Small helpers shared by the training-data operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def id_remainder(column: str, modulus: int) -> Column:
+    """crc32 of the id's decimal text, modulo ``modulus``; null ids give null."""
+    return F.crc32(F.col(column).cast("string")) % modulus
+
+
+def held_out(column: str, modulus: int, remainder: int) -> Column:
+    return F.coalesce(id_remainder(column, modulus) == remainder, F.lit(False))
+
+
+def utf8(docs: DataFrame) -> DataFrame:
+    """doc_id and the text as UTF-8 bytes, for tasks that work on bytes; other columns are left out."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
