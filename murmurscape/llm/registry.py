@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from murmurscape.llm import best_fit_pack, chat_format, fingerprint, language_mixture, quality_rank, secret_scan, toxicity
+from murmurscape.llm import best_fit_pack, chat_format, decontaminate, fingerprint, language_mixture, log_bilinear, quality_rank, secret_scan, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
+    "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_fingerprint": fingerprint.op3_fingerprint,
     "op4_language_mixture": language_mixture.op4_language_mixture,
+    "op5_log_bilinear": log_bilinear.op5_log_bilinear,
     "op6_quality_rank": quality_rank.op6_quality_rank,
     "op7_best_fit_pack": best_fit_pack.op7_best_fit_pack,
     "op9_chat_format": chat_format.op9_chat_format,
