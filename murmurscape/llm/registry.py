@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from murmurscape.llm import best_fit_pack, chat_format, decontaminate, fingerprint, language_mixture, log_bilinear, quality_rank, secret_scan, toxicity
+from murmurscape.llm import best_fit_pack, chat_format, decontaminate, fingerprint, jaccard_join, language_mixture, log_bilinear, quality_rank, secret_scan, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_log_bilinear": log_bilinear.op5_log_bilinear,
     "op6_quality_rank": quality_rank.op6_quality_rank,
     "op7_best_fit_pack": best_fit_pack.op7_best_fit_pack,
+    "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op9_chat_format": chat_format.op9_chat_format,
     "op10_secret_scan": secret_scan.op10_secret_scan,
 }
