@@ -1,0 +1,63 @@
+"""Critical-band arithmetic: columns, and the small constant tables built from them."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def hz_to_bark(hz: Column) -> Column:
+    f = F.greatest(hz, F.lit(1e-6))
+    return 13.0 * F.atan(0.00076 * f) + 3.5 * F.atan(F.pow(f / 7500.0, F.lit(2.0)))
+
+
+def bark(hz: float) -> float:
+    f = max(hz, 1e-6)
+    return 13.0 * math.atan(0.00076 * f) + 3.5 * math.atan((f / 7500.0) ** 2)
+
+
+def bark_to_hz(z: float) -> float:
+    """Inverse by 40 halvings of 0..24 kHz."""
+    low, high = 0.0, 24_000.0
+    for _ in range(40):
+        middle = (low + high) / 2
+        low, high = (middle, high) if bark(middle) < z else (low, middle)
+    return (low + high) / 2
+
+
+def n_bands(bins: int, bin_hz: float) -> int:
+    return max(8, math.ceil(bark(bin_hz * (bins - 1))))
+
+
+def band_centres(bins: int, bin_hz: float) -> list[tuple[int, float]]:
+    bands, top = n_bands(bins, bin_hz), bark(bin_hz * (bins - 1))
+    return [(b, bark_to_hz((b + 0.5) * top / bands)) for b in range(bands)]
+
+
+def centre_table(spark: SparkSession, bins: int, bin_hz: float) -> DataFrame:
+    """band, hz: 25 rows at full rate."""
+    return spark.createDataFrame(band_centres(bins, bin_hz), "band int, hz double")
+
+
+def filterbank(spark: SparkSession, bins: int, bin_hz: float) -> DataFrame:
+    """band, k, w: triangles over equal widths in Bark that share only their edges, rows summing to one."""
+    bands, top = n_bands(bins, bin_hz), bark(bin_hz * (bins - 1))
+    width = top / bands
+    grid = spark.range(bands).select(F.col("id").cast("int").alias("band")).crossJoin(spark.range(bins).select(F.col("id").cast("int").alias("k")))
+    z = hz_to_bark(F.col("k") * F.lit(bin_hz))
+    low = F.col("band") * F.lit(width)
+    raw = F.greatest(F.least((z - low) / (width / 2 + 1e-9), (low + width - z) / (width / 2 + 1e-9)), F.lit(0.0))
+    rows = grid.withColumn("raw", raw)
+    sums = rows.groupBy("band").agg(F.sum("raw").alias("total"))
+    return rows.join(F.broadcast(sums), "band").filter("raw > 0").select("band", "k", (F.col("raw") / F.col("total")).alias("w"))
+
+
+def spreading(centres: DataFrame) -> DataFrame:
+    """maskee, masker, s: power spread between bands."""
+    z = centres.select("band", hz_to_bark(F.col("hz")).alias("z"))
+    one, two = z.select(F.col("band").alias("maskee"), F.col("z").alias("zi")), z.select(F.col("band").alias("masker"), F.col("z").alias("zj"))
+    d = F.col("zi") - F.col("zj") + 0.474
+    db = F.greatest(F.least(15.81 + 7.5 * d - 17.5 * F.sqrt(1.0 + d * d), F.lit(0.5)), F.lit(-100.0))
+    return one.crossJoin(F.broadcast(two)).select("maskee", "masker", F.pow(F.lit(10.0), db / 10).alias("s"))

@@ -1,0 +1,38 @@
+from pyspark.sql import functions as F
+
+from murmurscape.operators.events import debounced
+from murmurscape.plans import catalogue
+from murmurscape.sources import adapters
+from murmurscape.streaming import stateful
+
+SF = "/root/testdata/sf0.001"
+
+
+def run_stream(spark, tmp_path, batches, make, name):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", stateful.PROVIDER)
+    for i, df in enumerate(batches):
+        df.coalesce(1).write.parquet(str(tmp_path / f"in/b={i}"))
+    schema = batches[0].schema
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    q = make(source).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).start()
+    q.processAllAvailable()
+    q.stop()
+    return spark.table(name)
+
+
+def test_debounce_stream_equals_batch(spark, tmp_path):
+    events = adapters.events(spark, SF).filter("user_id < 8").cache()
+    cut = events.approxQuantile("us", [0.5], 0.01)[0]
+    gap = 12 * catalogue.HOUR_US
+    got = run_stream(spark, tmp_path, [events.filter(F.col("us") <= cut), events.filter(F.col("us") > cut)], lambda s: stateful.debounced_stream(s, gap), "kept")
+    assert {r["event_id"] for r in got.collect()} == {r["event_id"] for r in debounced(events, gap).collect()}
+
+
+def test_tracker_stream_equals_batch(spark, tmp_path):
+    obs = catalogue.observations(spark, SF).filter("hop < 120").withColumn("harmonic", F.lit(0.0))
+    packed = obs.groupBy("hop").agg(F.array_sort(F.collect_list(F.struct("ord", "frequency_hz", "band_energy", "obs_type", "confidence", "harmonic"))).alias("obs"))
+    hops = spark.range(120).select(F.lit("main").alias("session"), F.col("id").alias("hop")).join(packed, "hop", "left").select("session", "hop", "obs").cache()
+    got = run_stream(spark, tmp_path, [hops.filter("hop < 50"), hops.filter("hop >= 50")], stateful.track_stream, "tracked")
+    batch = catalogue.object_state(spark, SF).filter("hop < 120")
+    key = lambda df: sorted((r["hop"], r["object_id"], r["status"], round(r["identity"], 9)) for r in df.collect())
+    assert key(got) == key(batch)
