@@ -1,0 +1,37 @@
+"""The pipeline's stages against plain versions of themselves, each on its own input."""
+
+import corpus_pipeline
+from murmurscape.llm import secret_scan
+from murmurscape.llm.decontaminate import SHINGLE
+from tests.llm.test_operators import SF, brute_components, shingle_sets, table
+
+
+def words(text):
+    return ["".join(c for c in w if c.isalnum()) for w in "".join(c if c.isalnum() else " " for c in (text or "").lower()).split()]
+
+
+def test_pipeline_stages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    columns, kept = docs.columns, []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns == columns, name
+        docs = spark.createDataFrame(docs.toPandas(), docs.schema)
+        kept.append({r["doc_id"]: r["text"] for r in docs.collect()})
+    ranked, single, clean, masked = kept
+    labels = table("labels")
+    quality = dict(zip(labels["doc_id"], labels["quality"], strict=True))
+    good = [i for i in quality if quality[i] == 1]
+    assert sum(i in ranked for i in good) / len(good) > 0.95
+    groups = brute_components(shingle_sets(ranked, 5), 80)
+    assert set(single) == {i for i, g in groups.items() if i == g}
+    items = [words(t) for t in table("benchmark")["text"]]
+    held = {i for i, t in single.items() if any(f" {' '.join(x)} " in f" {' '.join(words(t))} " for x in items if len(x) >= SHINGLE)}
+    assert not held & set(clean) and set(single) - set(clean) >= held
+    assert len(set(single) - set(clean)) <= len(held) + 2
+    assert set(masked) == set(clean)
+    for i, t in masked.items():
+        assert not secret_scan.base_spans(t) and (t == clean[i]) == (not secret_scan.base_spans(clean[i]))
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    assert {r["doc_id"] for r in packed} == set(masked) and sum(r["n_tokens"] for r in packed) == sum(len(t.split()) + 1 for t in masked.values())
+    assert {r["doc_id"] for r in corpus_pipeline.run(spark, SF).collect()} == set(masked)
