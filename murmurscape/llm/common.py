@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from murmurscape.sources.scratch import stored
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -22,3 +24,18 @@ def held_out(column: str, modulus: int, remainder: int) -> Column:
 def utf8(docs: DataFrame) -> DataFrame:
     """doc_id and the text as UTF-8 bytes, for tasks that work on bytes; other columns are left out."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+
+
+def join_hot(rows: DataFrame, values: DataFrame, key: str, share: int = 10_000) -> DataFrame:
+    """Left join of rows with values (one row for each key, with its number of rows in column ``rows``), safe from hot keys.
+
+    Keys with more than 1/``share`` of all rows, of which there are fewer than
+    ``share``, are broadcast; the others are shuffled.
+    """
+    values = stored(values, f"by-{key}")
+    total = values.agg(F.sum("rows")).first()[0] or 0
+    hot, cold = (values.filter(x).drop("rows") for x in (F.col("rows") * share > total, F.col("rows") * share <= total))
+    hot_keys = [c for c in values.columns if c not in (key, "rows")]
+    marked = rows.join(F.broadcast(hot.withColumnsRenamed({c: f"hot_{c}" for c in hot_keys}).withColumn("is_hot", F.lit(True))), key, "left")
+    easy = marked.filter(F.col("is_hot")).select(*rows.columns, *[F.col(f"hot_{c}").alias(c) for c in hot_keys])
+    return easy.unionByName(marked.filter(F.col("is_hot").isNull()).select(*rows.columns).join(cold, key, "left"))
