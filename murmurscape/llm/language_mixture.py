@@ -17,17 +17,16 @@ doc_id, text and lang are ignored.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from murmurscape.llm.common import held_out, table
 
 BUCKETS = 1 << 15
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")  # number signs such as ² and ½ are none
 BLANKED = bytes(32 if i < 65 or 91 <= i < 97 or 123 <= i < 128 else i for i in range(256))
 
 
@@ -39,8 +38,11 @@ def trigrams(text: str) -> np.ndarray:
     return ((code * np.uint32(2654435761)) >> np.uint32(17)).astype(np.int64)
 
 
-def learn(docs: DataFrame) -> dict | None:
-    """Languages and their log-probabilities; languages x BUCKETS numbers reach the driver at any corpus size."""
+def learn(docs: DataFrame, max_langs: int = 512) -> dict | None:
+    """Languages and their log-probabilities; languages x BUCKETS numbers reach the driver at any corpus size.
+
+    More than ``max_langs`` distinct languages are an error: the column then does not hold languages.
+    """
 
     def count(batches):
         totals: dict[str, np.ndarray] = {}
@@ -54,6 +56,9 @@ def learn(docs: DataFrame) -> dict | None:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], ["lang", "bucket", "n"])
 
     usable = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull()).select(F.col("text").cast("string"), F.col("lang").cast("string"))
+    found = usable.select("lang").distinct().limit(max_langs + 1).count()
+    if found > max_langs:
+        raise ValueError(f"over {max_langs} distinct values of lang")
     rows = usable.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     if rows.empty:
         return None
