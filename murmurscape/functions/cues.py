@@ -38,7 +38,7 @@ def prediction_cue(f: Column, predicted: Column) -> Column:
 
 
 def weighted(frequency: Column, energy: Column, envelope: Column, harmonic: Column, temporal: Column, prediction: Column, p: Params = DEFAULTS) -> Column:
-    return p.weight_frequency * frequency + p.weight_energy * energy + p.weight_envelope * envelope + p.weight_harmonic * harmonic + p.weight_temporal * temporal + p.weight_prediction * prediction
+    return p.w_frequency * frequency + p.w_energy * energy + p.w_envelope * envelope + p.w_harmonic * harmonic + p.w_temporal * temporal + p.w_prediction * prediction
 
 
 def range_membership(f: Column, low: float, high: float) -> Column:

@@ -41,8 +41,8 @@ class Tracker:
         envelope = np.maximum(0.0, 1 - np.minimum(1.0, np.abs(e - expected) / np.maximum(np.maximum(expected, e), 1e-6)))
         harmonic = {"TONAL": 0.7 * obs["harmonic"] + 0.3, "TRANSIENT": 0.4}.get(obs["obs_type"], 0.3)
         predicted = np.exp(-np.abs(np.log2(np.maximum(self.col("frequency"), 1.0) / f)) / 0.5)  # the prediction holds the last frequency
-        score = p.weight_frequency * frequency + p.weight_energy * energy + p.weight_envelope * envelope + p.weight_harmonic * harmonic
-        score = score + p.weight_temporal * np.exp(-dt / 0.15) + p.weight_prediction * predicted
+        score = p.w_frequency * frequency + p.w_energy * energy + p.w_envelope * envelope + p.w_harmonic * harmonic
+        score = score + p.w_temporal * np.exp(-dt / 0.15) + p.w_prediction * predicted
         return np.where((frequency >= p.frequency_veto) & (score >= p.reject_match), score, -1.0)
 
     def assign(self, observations: list[dict], t: float) -> dict[int, tuple[int, float]]:
@@ -100,7 +100,7 @@ class Tracker:
         x[AT["seen"]] = t
         x[AT["confirmations"]] += 1
         status = x[AT["status"]]
-        if status == TENTATIVE and x[AT["identity"]] >= p.confirmation_confidence and (t - x[AT["created"]]) * 1000 >= p.confirmation_window_ms:
+        if status == TENTATIVE and x[AT["identity"]] >= p.confirmation_confidence and (t - x[AT["created"]]) * 1000 >= p.candidate_confirmation_window_ms:
             x[AT["status"]] = ACTIVE
         elif status == HIDDEN:
             x[AT["status"]], x[AT["recovering_since"]] = RECOVERING, t
@@ -112,7 +112,7 @@ class Tracker:
         if status == ACTIVE:
             x[AT["status"]], x[AT["hidden_since"]] = HIDDEN, t
         elif status == TENTATIVE:
-            if (t - x[AT["created"]]) * 1000 > p.confirmation_window_ms and x[AT["confirmations"]] <= 1:
+            if (t - x[AT["created"]]) * 1000 > p.candidate_confirmation_window_ms and x[AT["confirmations"]] <= 1:
                 x[AT["status"]] = ARCHIVED
         else:
             absence = max(0.0, (t - x[AT["seen"]]) * 1000)

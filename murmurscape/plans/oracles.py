@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from murmurscape.functions.psycho import band_centres
-from murmurscape.params import DEFAULTS, REGISTERED, UNREAD, Params
+from murmurscape.params import DEFAULTS, UNREAD, contract_rows
 
 BINS, BIN_HZ = 64, 46.875
 HOP_S = DEFAULTS.hop_s
@@ -80,8 +80,11 @@ def r4(*names: str) -> str:
 
 
 def registry() -> str:
-    rows = [f"('{n}', {float(getattr(DEFAULTS, n))!r}::DOUBLE, {str(n not in UNREAD).lower()})" for n in list(Params.__dataclass_fields__)[:REGISTERED]]
-    return f"SELECT * FROM (VALUES {', '.join(rows)}) t(name, value, is_read)"
+    rows = []
+    for operator, name, value, unit, kind, owner, least, most in contract_rows():
+        bounds = "0::DOUBLE, 1::DOUBLE" if most else "NULL::DOUBLE, NULL::DOUBLE"
+        rows.append(f"('{name}', {value!r}::DOUBLE, '{unit}', '{kind}', '{owner}', '{operator}', {bounds}, {str(name not in UNREAD).lower()})")
+    return f"SELECT * FROM (VALUES {', '.join(rows)}) t(name, value, unit, class, owner, operator, minimum, maximum, is_read)"
 
 
 ORACLES: dict[str, str] = {
