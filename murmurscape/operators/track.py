@@ -18,7 +18,7 @@ from murmurscape.params import DEFAULTS, Params
 TENTATIVE, ACTIVE, HIDDEN, RECOVERING, ARCHIVED = range(5)
 STATUS = ("TENTATIVE", "ACTIVE", "HIDDEN", "RECOVERING", "ARCHIVED")
 COLUMNS = ("birth_seq", "created", "seen", "frequency", "anchor", "band_energy", "envelope", "harmonicity", "existence", "identity", "prediction", "confirmations", "hidden_since", "recovering_since", "status")
-STATE = "session string, hop long, object_id string, birth_seq long, status string, matched boolean, score double, frequency_hz double, anchor_hz double, band_energy double, envelope double, harmonicity double, existence double, identity double, prediction double, created double, last_observed double"
+STATE = "session long, hop long, object_id string, birth_seq long, status string, matched boolean, score double, frequency_hz double, anchor_hz double, band_energy double, envelope double, harmonicity double, existence double, identity double, prediction double, created double, last_observed double"
 AT = {name: i for i, name in enumerate(COLUMNS)}
 
 
@@ -123,10 +123,10 @@ class Tracker:
                 x[AT["status"]] = ARCHIVED
 
 
-def state_rows(session: str, hop: int, rows: list[tuple]) -> list[tuple]:
+def state_rows(session: int, hop: int, rows: list[tuple]) -> list[tuple]:
     pick = ("frequency", "anchor", "band_energy", "envelope", "harmonicity", "existence", "identity", "prediction", "created", "seen")
     return [
-        (session, hop, f"{session}_{int(x[AT['birth_seq']]):06d}", int(x[AT["birth_seq"]]), STATUS[int(x[AT["status"]])], matched, score, *(float(x[AT[c]]) for c in pick))
+        (session, hop, f"s{session}_{int(x[AT['birth_seq']]):06d}", int(x[AT["birth_seq"]]), STATUS[int(x[AT["status"]])], matched, score, *(float(x[AT[c]]) for c in pick))
         for x, matched, score in rows
     ]
 
