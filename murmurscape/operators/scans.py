@@ -32,6 +32,9 @@ def scan(rows: DataFrame, keys: list[str], order: list[str], make: Callable[[],
             if not n:
                 continue
             columns = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names}
+            for k in keys:
+                if batch.column(k).null_count:  # None equals None, NaN would not
+                    columns[k] = np.array(batch.column(k).to_pylist(), dtype=object)
             new = np.zeros(n, dtype=bool)
             new[0] = True
             for k in keys:
