@@ -42,7 +42,7 @@ def tempo_of(times: np.ndarray, strengths: np.ndarray, now: float) -> tuple[floa
     products = np.bincount(filled[j] - filled[i], weights=signal[filled[i]] * signal[filled[j]], minlength=n)
     mean, upto = signal.mean(), np.concatenate([[0.0], np.cumsum(signal)])
     lag = np.arange(n)
-    ac = products - mean * (upto[n - lag] + upto[n] - upto[lag]) + (n - lag) * mean * mean
+    ac = np.round(products - mean * (upto[n - lag] + upto[n] - upto[lag]) + (n - lag) * mean * mean, 6)  # so that ties are ties
     ac[0] = 0.0
     best = LOW_LAG + int(np.argmax(ac[LOW_LAG : HIGH_LAG + 1]))
     value = ac[best]
