@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmurscape.llm.common import held_out, table
+from murmurscape.llm.common import held_out, slices, table
 from murmurscape.sources.scratch import stored
 
 END = b""  # no word is empty
@@ -204,7 +204,7 @@ def encoded(docs: DataFrame, learn: Column, words: list[bytes], outputs: int) ->
 
     def run(batches):
         lookup = Known(shared.value)
-        for batch in batches:
+        for batch in slices(batches, "text"):
             texts = [tokens_of(x) for x in batch.column("text").to_pylist()]
             sizes = np.array([len(t) for t in texts])
             flat = [w for t in texts for w in t]
@@ -309,7 +309,7 @@ def sums_of_known(coded: DataFrame, classes: int, n_ids: int, before: np.ndarray
 
     def run(batches):
         seen, sums = np.zeros(classes), np.zeros((n_ids - classes) * width)
-        for batch in batches:
+        for batch in slices(batches, "ids"):
             texts = [np.frombuffer(x, dtype=np.uint16) for x in batch.column("ids").to_pylist()]
             ids = np.concatenate(texts).astype(np.int64)
             near = contexts(np.where(ids < classes, ids, RARE_CLASS), np.concatenate([[0], np.cumsum([len(t) for t in texts])[:-1]]))[1]
@@ -432,10 +432,8 @@ def score_texts(
 
     def run(batches):
         base_of, bias_of, is_known, vectors, context, log_z, tables = shared.value
-        for batch in batches:
+        for batch in slices(batches, "ids"):
             texts = [np.frombuffer(x, dtype=np.uint16) for x in batch.column("ids").to_pylist()]
-            if not texts:
-                continue
             sizes = np.array([len(t) for t in texts])
             starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
             ids = np.concatenate(texts).astype(np.int64)
