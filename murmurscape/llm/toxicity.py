@@ -171,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int, min_llr: float, m
     found = choose_features(document_counts(labelled), n, min_llr, min_share)
     index = {f[0]: i for i, f in enumerate(found)}
     in_all, *in_half = (np.array([f[k] for f in found], dtype=bool) for k in (1, 2, 3))
-    rows = sparse_rows(labelled, index).orderBy("doc_id", "toxic").toPandas()
+    rows = sparse_rows(labelled, index).toPandas().sort_values(["doc_id", "toxic"], kind="stable")
     sizes = rows["features"].map(len).to_numpy()
     doc = np.repeat(np.arange(len(rows)), sizes)
     word = np.concatenate([np.zeros(0, int), *rows["features"]]).astype(int)
