@@ -16,23 +16,29 @@ def timbre(history: DataFrame) -> DataFrame:
     attack = F.min_by(F.when(F.col("ms") <= 150, F.col("ms")), F.when(F.col("ms") <= 150, F.struct((-F.col("e")).alias("m"), F.col("ms"))))
     tail = F.avg(F.when(F.col("ms").between(200, 400), F.col("e")))
     per = history.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.avg(early).alias("onset"), attack.alias("attack"), tail.alias("tail"))
-    ratio = F.col("tail") / (F.col("onset") + 1e-9)
-    sharp = F.col("attack") < 15
+    label, confidence = timbre_of(F.col("n"), F.col("onset"), F.col("attack"), F.col("tail"))
+    return per.select("key", label.alias("timbre"), confidence.alias("confidence"))
+
+
+def timbre_of(n: Column, onset: Column, attack: Column, tail: Column) -> tuple[Column, Column]:
+    """Label and confidence from the number of energies, the onset's mean, the peak's time in milliseconds and the tail's mean (null: no tail)."""
+    ratio = tail / (onset + 1e-9)
+    sharp = attack < 15
     label = (
-        F.when(F.col("n") < 5, "UNKNOWN")
-        .when(F.col("tail").isNull(), F.when(sharp, "PERCUSSIVE").otherwise("UNKNOWN"))
+        F.when(n < 5, "UNKNOWN")
+        .when(tail.isNull(), F.when(sharp, "PERCUSSIVE").otherwise("UNKNOWN"))
         .when(sharp & (ratio < 0.25), "PERCUSSIVE")
         .when(ratio > 0.6, "SUSTAINED")
         .otherwise("DECAYING")
     )
     confidence = (
-        F.when(F.col("n") < 5, 0.0)
-        .when(F.col("tail").isNull(), F.when(sharp, 0.5).otherwise(0.3))
+        F.when(n < 5, 0.0)
+        .when(tail.isNull(), F.when(sharp, 0.5).otherwise(0.3))
         .when(sharp & (ratio < 0.25), clipped(1 - ratio, 0.5, 0.95))
         .when(ratio > 0.6, clipped(ratio, 0.5, 0.95))
         .otherwise(0.55)
     )
-    return per.select("key", label.alias("timbre"), confidence.alias("confidence"))
+    return label, confidence
 
 
 def role_scores(rows: DataFrame) -> DataFrame:
