@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from murmurscape.llm import best_fit_pack, chat_format, decontaminate, extendible_dedup, fingerprint, jaccard_join, language_mixture, log_bilinear, merkle_manifest, quality_rank, secret_scan, toxicity
+from murmurscape.llm import best_fit_pack, chat_format, decontaminate, extendible_dedup, fingerprint, hard_negatives, jaccard_join, language_mixture, log_bilinear, merkle_manifest, quality_rank, secret_scan, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,7 +15,8 @@ QUERIES = {
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op9_chat_format": chat_format.op9_chat_format,
     "op10_secret_scan": secret_scan.op10_secret_scan,
+    "op11_hard_negatives": hard_negatives.op11_hard_negatives,
     "op12_exact_dedup": extendible_dedup.op12_exact_dedup,
     "op13_merkle_manifest": merkle_manifest.op13_merkle_manifest,
 }
-ORACLES = {"op9_chat_format": chat_format.ORACLE, "op12_exact_dedup": extendible_dedup.ORACLE}
+ORACLES = {"op9_chat_format": chat_format.ORACLE, "op11_hard_negatives": hard_negatives.ORACLE, "op12_exact_dedup": extendible_dedup.ORACLE}
