@@ -20,9 +20,10 @@ def energy_cue(e: Column, other: Column) -> Column:
     return F.exp(-F.abs(F.log10(F.greatest(e, F.lit(1e-8)) / F.greatest(other, F.lit(1e-8)))) / 0.7)
 
 
-def envelope_cue(e: Column, envelope: Column, dt: Column) -> Column:
+def envelope_cue(e: Column, envelope: Column, own: Column, dt: Column) -> Column:
+    """How near the observed energy is to what the object's envelope has decayed to, against the object's own energy."""
     expected = envelope * F.exp(-dt / 0.4)
-    return F.greatest(F.lit(0.0), 1 - F.least(F.lit(1.0), F.abs(e - expected) / F.greatest(expected, e, F.lit(1e-6))))
+    return F.greatest(F.lit(0.0), 1 - F.least(F.lit(1.0), F.abs(e - expected) / F.greatest(expected, own, F.lit(1e-6))))
 
 
 def harmonic_cue(kind: Column, harmonic: Column) -> Column:

@@ -8,16 +8,15 @@ time) expires; without it state is kept.
 
 from __future__ import annotations
 
-import io
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, DoubleType, LongType, StructField, StructType
 
-from murmurscape.operators.track import STATE, Tracker, state_rows
+from murmurscape.operators.track import COLUMNS, STATE, Tracker, state_columns
 from murmurscape.params import DEFAULTS, Params
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -59,34 +58,37 @@ def debounced_stream(events: DataFrame, gap_us: int, ttl_ms: int | None = None)
 class Track(StatefulProcessor):
     """The tracker's live objects as one value of state for each session."""
 
-    def __init__(self, params: Params, ttl_ms: int | None = None):
-        self.params, self.ttl_ms = params, ttl_ms
+    def __init__(self, params: Params, ttl_ms: int | None = None, centres: np.ndarray | None = None):
+        self.params, self.ttl_ms, self.centres = params, ttl_ms, centres
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("tracker", StructType([StructField("live", BinaryType()), StructField("born", LongType()), StructField("hop", LongType())]), self.ttl_ms)
+        kinds = {"live": BinaryType(), "born": LongType(), "refused": LongType(), "hop": LongType(), "t": DoubleType()}
+        self.state = handle.getValueState("tracker", StructType([StructField(k, v) for k, v in kinds.items()]), self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        tracker, last, out = Tracker(self.params), -1, []
+        tracker, last, found, hops = Tracker(self.params, self.centres), -1, [], []
         if self.state.exists():
-            live, tracker.born, last = self.state.get()
-            tracker.live = np.load(io.BytesIO(live))
+            live, tracker.born, tracker.refused, last, tracker.t = self.state.get()
+            tracker.live = np.frombuffer(live).reshape(-1, len(COLUMNS)).copy()
         part = pd.concat(list(rows)).sort_values("hop", kind="stable")
-        for hop, obs in zip(part["hop"].tolist(), part["obs"], strict=True):
+        bands = part["bark_energy"] if self.centres is not None else [None] * len(part)
+        for hop, obs, bark in zip(part["hop"].tolist(), part["obs"], bands, strict=True):
             if hop > last:
-                out += state_rows(key[0], hop, tracker.step([] if obs is None else [dict(o) for o in obs], hop * self.params.hop_s))
-                last = hop
-        saved = io.BytesIO()
-        np.save(saved, tracker.live)
-        self.state.update((saved.getvalue(), tracker.born, int(last)))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in STATE.split(", ")])
+                now = tracker.step([] if obs is None else [dict(o) for o in obs], hop * self.params.hop_s, None if bark is None else np.asarray(bark, dtype=float))
+                found, last = found + now, hop
+                hops += [hop] * len(now)
+        self.state.update((tracker.live.tobytes(), tracker.born, tracker.refused, int(last), float(tracker.t)))
+        columns = {c: v.to_pandas() for c, v in state_columns(key[0], found, [h * self.params.hop_s for h in hops], self.params).items()}
+        yield pd.DataFrame({"session": [key[0]] * len(found), "hop": hops} | columns)
 
     def close(self) -> None:
         pass
 
 
-def track_stream(packed: DataFrame, params: Params = DEFAULTS, ttl_ms: int | None = None) -> DataFrame:
-    """packed: session, hop, obs (array of observation structs, null in silence), every hop once."""
-    return packed.groupBy("session").transformWithStateInPandas(Track(params, ttl_ms), STATE, "Append", time_mode(ttl_ms))
+def track_stream(packed: DataFrame, params: Params = DEFAULTS, ttl_ms: int | None = None, centres: list[tuple[int, float]] | None = None) -> DataFrame:
+    """packed: session, hop, obs (array of observation structs, null in silence), every hop once; with ``centres`` also bark_energy, and objects are heard."""
+    hz = None if centres is None else np.array([c for _, c in centres])
+    return packed.groupBy("session").transformWithStateInPandas(Track(params, ttl_ms, hz), STATE, "Append", time_mode(ttl_ms))
 
 
 def activity_stream(events: DataFrame, gap: str, late: str) -> DataFrame:

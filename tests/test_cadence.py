@@ -82,14 +82,6 @@ def test_roles_come_every_thirtieth_hop_with_the_groove_of_that_moment(spark, st
     assert all(math.isclose(r["harmonic_pad"], 0.45 + 0.30 * 0.8, abs_tol=1e-6) for r in sustained)
 
 
-def test_perceptual_confidence_is_the_availability_of_the_nearest_band(spark, state):
-    smoothed = spark.createDataFrame([(0, 10, 1, 0.25), (0, 10, 2, 0.75)], "session long, hop long, band int, smoothed double")
-    rows = {r["hop"]: r for r in cadence.confidences(state.filter("object_id = 'flat'"), smoothed, [(0, 100.0), (1, 450.0), (2, 2000.0)]).collect()}
-    assert rows[10]["perceptual"] == 0.25 and rows[11]["perceptual"] == 1.0
-    assert math.isclose(rows[10]["confidence"], 0.3 * 0.9 + 0.3 * 0.8 + 0.2 * 0.25 + 0.1 * 0.7 + 0.05)
-    assert 136 not in rows  # archived
-
-
 def test_empty_tables(spark, state):
     none = state.limit(0)
     writes = cadence.timbre_writes(none)

@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from murmurscape.functions.psycho import band_centres
 from murmurscape.operators.events import debounced
 from murmurscape.plans import catalogue
 from murmurscape.sources import adapters
@@ -29,12 +30,13 @@ def test_debounce_stream_equals_batch(spark, tmp_path):
 
 
 def test_tracker_stream_equals_batch(spark, tmp_path):
-    obs = catalogue.tracked(spark, SF).filter("hop < 120")
-    packed = obs.groupBy("hop").agg(F.array_sort(F.collect_list(F.struct("ord", "frequency_hz", "band_energy", "obs_type", "confidence", "harmonic"))).alias("obs"))
-    hops = spark.range(120).select(F.lit(0).cast("long").alias("session"), F.col("id").alias("hop")).join(packed, "hop", "left").select("session", "hop", "obs").cache()
-    got = run_stream(spark, tmp_path, [hops.filter("hop < 50"), hops.filter("hop >= 50")], stateful.track_stream, "tracked")
-    batch = catalogue.object_state(spark, SF).filter("hop < 120")
-    key = lambda df: sorted((r["hop"], r["object_id"], r["status"], round(r["identity"], 9)) for r in df.collect())
+    scene = catalogue.scene(spark, SF)
+    hops = scene.heard.select("session", "hop", "obs", "bark_energy").filter("hop < 120").cache()
+    centres = band_centres(scene.bins, scene.bin_hz)
+    got = run_stream(spark, tmp_path, [hops.filter("hop < 50"), hops.filter("hop >= 50")], lambda s: stateful.track_stream(s, centres=centres), "tracked")
+    batch = scene.state.filter("hop < 120")
+    key = lambda df: sorted((r["hop"], r["object_id"], r["status"], *(round(r[c], 9) for c in ("identity", "availability", "loudness", "confidence"))) for r in df.collect())
+    assert got.columns == batch.columns
     assert key(got) == key(batch)
 
 
