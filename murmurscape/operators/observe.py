@@ -79,7 +79,7 @@ def labelled(found: DataFrame, shape: DataFrame, centres: DataFrame) -> DataFram
     hz = F.col("hz")
     wide = centres.withColumn("bandwidth", F.greatest(F.coalesce(F.lead("hz").over(by_band), hz) - F.coalesce(F.lag("hz").over(by_band), hz), F.lit(1.0)))
     frames = shape.select("session", "hop", "flatness", *[F.col(c) if c in shape.columns else F.lit(None).cast("double").alias(c) for c in ("pitch_hz", "pitch_confidence")])
-    rows = found.join(F.broadcast(wide), "band").join(frames, ["session", "hop"])
+    rows = found.join(wide, "band").join(frames, ["session", "hop"])
     harmonic = F.coalesce((F.col("pitch_confidence") > 0.5) & near_harmonic(F.col("pitch_hz"), hz), F.lit(False))
     kind = F.when(harmonic | (F.col("flatness") < 0.3), "TONAL").otherwise("NOISE_TEXTURE")
     return rows.select(
@@ -107,7 +107,7 @@ def working_set(observations: DataFrame, params: Params = DEFAULTS) -> DataFrame
 
 
 def nearest_band(points: DataFrame, centres: DataFrame, hz: str, keep: list[str]) -> DataFrame:
-    """The band with the nearest centre, the lower one on ties: centres become one array in the row."""
+    """The band with the nearest centre, the lower one on ties: the centres are one row with an array, whatever their number."""
     packed = centres.agg(F.array_sort(F.collect_list(F.struct("band", F.col("hz").alias("c")))).alias("centres"))
     near = F.array_min(F.transform("centres", lambda c: F.struct(F.abs(c["c"] - F.col(hz)).alias("d"), c["band"].alias("band"))))
-    return points.crossJoin(F.broadcast(packed)).select(*keep, near["band"].alias("band"))
+    return points.crossJoin(packed).select(*keep, near["band"].alias("band"))

@@ -81,8 +81,11 @@ base AS (SELECT hop, band, f, confidence AS h, CASE WHEN obs_type='TONAL' THEN 0
 rol AS (SELECT hop, band, 0.30e0*{member(35.0, 180.0)}+0.30e0*pc+0.25e0*(1-h)+0.15e0*0.5e0 AS kick, 0.35e0*{member(35.0, 350.0)}+0.30e0*(1-pc)+0.35e0*h AS bass, 0.40e0*pc+0.35e0*least(greatest((f-600)/4000,0e0),1e0)+0.25e0*0.5e0 AS percussion, 0.45e0*su+0.30e0*h+0.25e0*(1-pr) AS harmonic_pad, 0.35e0*rg+0.30e0*h+0.35e0*pr AS lead_melody FROM base)"""
 
 
+FINE = ("band_energy", "energy", "field", "loudest", "flux")  # small numbers keep nine places
+
+
 def r4(*names: str) -> str:
-    return ", ".join(f"round({n}, 4) AS {n}" for n in names)
+    return ", ".join(f"round({n}, {9 if n in FINE else 4}) AS {n}" for n in names)
 
 
 def registry() -> str:

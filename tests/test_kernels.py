@@ -182,8 +182,9 @@ def test_as_of_takes_any_probes(spark):
     ask = lambda *probes: {(r["user_id"], r["probe"], r["event_id"]) for r in events.as_of(rows, spark.createDataFrame(list(probes), "probe long, us long")).collect()}
     assert ask() == set() and ask((0, 5)) == {(1, 0, 11)}
     assert ask((0, 6), (1, 6), (2, 19), (3, 1000), (4, 2)) == {(1, 0, 11), (1, 1, 11), (1, 2, 11), (2, 2, 13), (1, 3, 12), (2, 3, 13)}
-    with pytest.raises(ValueError):
-        events.as_of(rows, spark.createDataFrame([(0, 1), (1, 2)], "probe long, us long"), max_probes=1)
+    many = spark.createDataFrame([(0, 6), (1, 6), (2, 19), (3, 1000), (4, 2)], "probe long, us long")
+    joined, searched = (sorted(map(tuple, events.as_of(rows, many, limit).collect())) for limit in (1, 100))
+    assert joined == searched and len(joined) == 6
 
 
 def test_core_operators_take_nulls_extra_columns_and_empty_tables(spark):
