@@ -157,23 +157,32 @@ def windows_of(docs: DataFrame, items: DataFrame, k: int, similarity: float, bro
     return placed.distinct().withColumn("k", F.lit(k))
 
 
+def entries(rows: DataFrame, row: str, fingerprint: tuple[str, str], values: Column) -> DataFrame:
+    """place (size, block number and value in one number), ``row`` and the halves of the fingerprint: the rows of one side of the index."""
+    each = rows.select("n_words", "k", row, *[F.get("fingerprint", i).alias(c) for i, c in enumerate(fingerprint)], F.explode(blocks(F.col("fingerprint"))).alias("block"))
+    each = each.select("n_words", "k", row, *fingerprint, F.col("block.number").alias("number"), F.explode(values).alias("value"))
+    place = ((F.col("n_words").cast("long") * 8 + F.col("k")) * 8 + F.col("number")) * (1 << BLOCK) + F.col("value")
+    return each.select(place.alias("place"), row, *fingerprint)
+
+
 def candidates(windows: DataFrame, items: DataFrame) -> DataFrame:
-    """n_words, k, shingles of the windows and item_id, item_row, item_shingles of the items whose fingerprints lie within the radius, each pair once.
+    """window_row, item_row of the windows and items of one size whose fingerprints lie within the radius, each pair once.
 
-    windows: n_words, k, shingles, fingerprint.
+    windows: n_words, k, window_row, fingerprint; items: n_words, k, item_row,
+    fingerprint.  Items of sizes that no window has are not entered.  The entries hold
+    numbers only; they are many, so the join is told not to broadcast them.
     """
-    left = windows.select("n_words", "k", "fingerprint", "shingles", F.explode(blocks(F.col("fingerprint"))).alias("block"))
-    left = left.select("n_words", "k", "fingerprint", "shingles", "block.number", "block.value")
-    spread = items.select("n_words", "k", "item_id", "item_row", F.col("fingerprint").alias("item_fingerprint"), F.col("shingles").alias("item_shingles"), F.explode(blocks(F.col("fingerprint"))).alias("block"))
-    sizes = windows.select("n_words", "k").distinct()
-    right = spread.join(sizes, ["n_words", "k"], "left_semi").select("n_words", "k", "item_id", "item_row", "item_fingerprint", "item_shingles", F.col("block.number").alias("number"), F.explode(F.transform(flips(), lambda m: m.bitwiseXOR(F.col("block.value")))).alias("value"))
-    met = left.join(right, ["n_words", "k", "number", "value"]).filter(distance(F.col("fingerprint"), F.col("item_fingerprint")) <= RADIUS)
-    return met.drop("number", "value", "fingerprint", "item_fingerprint").dropDuplicates(["n_words", "k", "shingles", "item_row"])
+    value = F.col("block.value")
+    left = entries(windows, "window_row", ("f0", "f1"), F.array(value))
+    own = items.join(windows.select("n_words", "k").distinct(), ["n_words", "k"], "left_semi")
+    right = entries(own, "item_row", ("g0", "g1"), F.transform(flips(), lambda m: m.bitwiseXOR(value)))
+    apart = F.bit_count(F.col("f0").bitwiseXOR(F.col("g0"))) + F.bit_count(F.col("f1").bitwiseXOR(F.col("g1")))
+    return left.join(right.hint("merge"), "place").filter(apart <= RADIUS).select("window_row", "item_row").distinct()
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, broadcast_shingles: int = 500_000) -> DataFrame:
     """doc_id, item_id, similarity (the best window's), start (its first word), n_windows (that match): one row for each pair that matches."""
-    items = items_of(benchmark)
+    items = stored(items_of(benchmark), "benchmark-items")
     sizes = items.groupBy("k").agg(F.sum(F.size("shingles")).alias("n")).collect()  # at most five rows
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = None
@@ -184,8 +193,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, similarity double, start long, n_windows long")
     found = stored(found, "benchmark-windows")
     content = F.struct("n_words", "k", "shingles")
-    distinct = found.select("n_words", "k", "shingles").distinct().withColumn("fingerprint", simhash(F.col("shingles")))
-    near = candidates(distinct, items)
+    distinct = found.select("n_words", "k", "shingles").distinct().withColumns({"fingerprint": simhash(F.col("shingles")), "window_row": F.monotonically_increasing_id()})
+    distinct = stored(distinct, "benchmark-distinct")
+    near = candidates(distinct, items).join(distinct.select("window_row", "n_words", "k", "shingles"), "window_row")
+    near = near.join(items.select("item_row", "item_id", F.col("shingles").alias("item_shingles")), "item_row")
     checked = (
         near.withColumn("similarity", weighted_jaccard(F.col("shingles"), F.col("item_shingles")))
         .filter(F.col("similarity") >= similarity)

@@ -198,11 +198,9 @@ def test_the_index_of_decontamination_selects(spark):
         text[int(rng.integers(5, 55))] = "other"
         near.append(text)
     frame = lambda rows, name: decontaminate.items_of(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "item_id long, text string")).withColumnRenamed("item_id", name)
-    windows = frame(near + [words(60) for _ in range(200)], "window_id").cache()
-    benchmark = frame(items, "item_id").cache()
-    left = windows.select("n_words", "k", "shingles", "fingerprint").distinct()
-    found = decontaminate.candidates(left, benchmark)
-    pairs = {(r["window_id"], r["item_id"]) for r in found.join(windows.select("window_id", "shingles"), "shingles").select("window_id", "item_id").collect()}
+    windows = frame(near + [words(60) for _ in range(200)], "window_id").withColumn("window_row", F.col("window_id")).drop("item_row").cache()
+    benchmark = frame(items, "item_id").drop("item_row").withColumn("item_row", F.col("item_id")).cache()
+    pairs = {tuple(r) for r in decontaminate.candidates(windows, benchmark).collect()}
     assert {(i, i) for i in range(300)} <= pairs and len(pairs) < 0.01 * 500 * 1000
-    close = windows.crossJoin(benchmark.withColumnsRenamed({"fingerprint": "g", "item_row": "r2", "shingles": "s2", "n_words": "n2", "k": "k2"})).filter(decontaminate.distance(F.col("fingerprint"), F.col("g")) <= decontaminate.RADIUS)
+    close = windows.crossJoin(benchmark.withColumnsRenamed({"fingerprint": "g", "shingles": "s2", "n_words": "n2", "k": "k2"})).filter(decontaminate.distance(F.col("fingerprint"), F.col("g")) <= decontaminate.RADIUS)
     assert pairs == {(r["window_id"], r["item_id"]) for r in close.select("window_id", "item_id").collect()}  # all within the radius, no others
