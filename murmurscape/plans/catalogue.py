@@ -169,12 +169,12 @@ def frame_rms_crest(spark, d):
 
 @query
 def dft_magnitude(spark, d):
-    return physical.dft_magnitude(user_frames(spark, d), SIZE)
+    return physical.fft_magnitude(user_frames(spark, d), SIZE).select("user_id", "frame", F.posexplode("mag").alias("k", "mag"))
 
 
 @query
 def autocorr_pitch(spark, d):
-    return physical.autocorrelation_pitch(user_frames(spark, d), SIZE, 4, 32, 187.5)
+    return pitch.framed_pitch(user_frames(spark, d), 4, 32, 187.5)
 
 
 @query

@@ -136,5 +136,8 @@ def test_roles_and_frames_on_awkward_rows(spark):
     frames = physical.framed(samples.drop("frame"), 4, 2)
     row = physical.rms_crest(frames, 4).first()
     assert abs(row["rms"] - math.sqrt(0.75)) < 1e-9 and row["peak"] == 1.0
+    whole = {r["frame"]: r["mag"] for r in physical.fft_magnitude(frames, 4).collect()}
+    flat = physical.dft_magnitude(frames.fillna(0.0, ["x"]), 4).collect()
+    assert len(flat) == 3 * len(whole) and all(abs(whole[r["frame"]][r["k"]] - r["mag"]) < 1e-9 for r in flat)
     for f in (lambda x: physical.rms_crest(x, 4), lambda x: physical.dft_magnitude(x, 4), lambda x: physical.fft_magnitude(x, 4)):
         assert f(frames.limit(0)).collect() == []
