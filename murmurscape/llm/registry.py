@@ -19,4 +19,10 @@ QUERIES = {
     "op12_exact_dedup": extendible_dedup.op12_exact_dedup,
     "op13_merkle_manifest": merkle_manifest.op13_merkle_manifest,
 }
-ORACLES = {"op9_chat_format": chat_format.ORACLE, "op11_hard_negatives": hard_negatives.ORACLE, "op12_exact_dedup": extendible_dedup.ORACLE}
+ORACLES = {
+    "op8_jaccard_join": jaccard_join.ORACLE,
+    "op9_chat_format": chat_format.ORACLE,
+    "op11_hard_negatives": hard_negatives.ORACLE,
+    "op12_exact_dedup": extendible_dedup.ORACLE,
+    "op13_merkle_manifest": merkle_manifest.ORACLE,
+}
