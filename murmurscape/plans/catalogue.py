@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from murmurscape.functions import cues, psycho
 from murmurscape.operators import events as ev
 from murmurscape.operators import groove, logs, observe, perceive, physical, pitch, relate, rhythm, roles, spectra, track
-from murmurscape.params import DEFAULTS, Params, param_registry
+from murmurscape.params import DEFAULTS, Params, contract_rows, param_registry
 from murmurscape.plans.oracles import FINE, ORACLES
 from murmurscape.plans.scene import Scene
 from murmurscape.sources import adapters
@@ -139,7 +139,13 @@ def cue_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def param_registry_table(spark, d):
-    return param_registry(spark)
+    """The parameters in force for each user's music, and how many of its gaps between onsets each time of the contract covers (null for other units)."""
+    from pyspark.sql import Window
+
+    gap = (F.col("t") - F.lag("t").over(Window.partitionBy("user_id").orderBy("t", "event_id"))) * 1000
+    covered = [F.struct(F.lit(name).alias("name"), (F.count_if(F.col("gap") <= value) if unit == "ms" else F.lit(None)).cast("long").alias("gaps_within")) for _, name, value, unit, *_ in contract_rows()]
+    per = music(spark, d).withColumn("gap", gap).groupBy("user_id").agg(F.array(*covered).alias("covered")).select("user_id", F.inline("covered"))
+    return per.join(F.broadcast(param_registry(spark)), "name")  # as many rows as the contract has
 
 
 @query
