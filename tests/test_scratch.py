@@ -1,0 +1,13 @@
+import os
+
+from murmurscape.sources import scratch
+
+
+def test_stored_tables_are_read_back_and_forgotten(spark, monkeypatch):
+    monkeypatch.setattr(scratch, "WRITTEN", [])  # other tests' tables stay
+    one, two = (scratch.stored(spark.range(n), "numbers") for n in (5, 0))
+    assert (one.count(), two.count()) == (5, 0) and two.dtypes == spark.range(0).dtypes
+    kept = scratch.WRITTEN[:]
+    assert len(kept) == 2 and all(os.path.isdir(p.removeprefix("file:")) for p in kept)
+    assert scratch.forget(spark) == 2 and scratch.forget(spark) == 0
+    assert not any(os.path.exists(p.removeprefix("file:")) for p in kept)
