@@ -79,7 +79,8 @@ def masked(spark: SparkSession, d: str) -> DataFrame:
 
 
 def smoothed(spark: SparkSession, d: str) -> DataFrame:
-    return perceive.by_band(perceive.smoothed(masked(spark, d), psycho.n_bands(BINS, BIN_HZ)), "smoothed", "was")
+    """By session and band: the table is one session, whose bands are worked on side by side (``perceive.smoothed`` takes many sessions with less shuffled)."""
+    return perceive.attack_release(perceive.by_band(masked(spark, d), "raw"))
 
 
 def transient_hops(spark: SparkSession, d: str) -> DataFrame:
