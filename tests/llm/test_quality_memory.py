@@ -1,0 +1,19 @@
+"""What the fit of the ranking holds on the driver."""
+
+import tracemalloc
+
+import numpy as np
+
+from murmurscape.llm import quality_rank
+
+
+def test_fit_makes_no_second_copy_of_the_features():
+    rng = np.random.default_rng(3)
+    x = rng.random((3000, quality_rank.N_FEATURES), dtype=np.float32)
+    y = rng.integers(0, 2, 3000)
+    scale = x.std(axis=0, dtype=np.float64) + 1e-3
+    tracemalloc.start()
+    model = quality_rank.fit(x, y, steps=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (model["scale"] == scale).all() and peak < x.nbytes
