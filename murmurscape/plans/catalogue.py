@@ -312,7 +312,7 @@ def track_objects(spark, d):
 
 @query
 def object_limits(spark, d):
-    """What the limits of objects did to each session: births, refused births, and when the soft limit was reached."""
+    """What the limits of objects did to each session: births, refused births (none, as the queries hold no session to the hard limit), and when the soft limit was reached."""
     return track.limits(scene(spark, d).hops)
 
 
@@ -378,9 +378,9 @@ def groove_updates(spark, d):
 
 @query
 def session_report(spark, d):
-    """What was known at every fiftieth hop: objects, layers, groove, last events, near decisions."""
+    """What was known at every fiftieth hop: objects, layers, groove, all events of the half second before, all near decisions."""
     s = scene(spark, d)
-    return s.report(s.hops.filter("hop % 50 = 0").select("session", F.col("hop").alias("probe")))
+    return s.report(s.hops.filter("hop % 50 = 0").select("session", F.col("hop").alias("probe")), None, None)
 
 
 @query

@@ -142,5 +142,5 @@ class Scene:
     def history(self) -> DataFrame:
         return logs.history(self.state, self.timbre)
 
-    def report(self, probes: DataFrame) -> DataFrame:
-        return logs.report(probes, self.history, relate.layer_memberships(self.layers), self.updates, self.events, self.decisions, self.p)
+    def report(self, probes: DataFrame, last: int | None = logs.TRAILING_EVENTS, first: int | None = logs.NEAR_DECISIONS) -> DataFrame:
+        return logs.report(probes, self.history, relate.layer_memberships(self.layers), self.updates, self.events, self.decisions, self.p, last, first)
